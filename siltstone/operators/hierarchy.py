@@ -124,8 +124,9 @@ def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) ->
         own = F.pmod(F.xxhash64(F.lit(-1 - level), F.col("volume_id"), F.col("frn")), F.lit(buckets * 2))
         theirs = F.pmod(F.xxhash64(F.lit(-1 - level), F.col("volume_id"), F.col("parent_frn")), F.lit(buckets * 2))
         # children of a hot parent stay apart, or its fragment would grow with them
-        hot = links.groupBy("volume_id", F.col("parent_frn").alias("hot")).count().filter(F.col("count") > fragment_rows // 8).drop("count")
-        placed = links.join(hot.withColumn("is_hot", F.lit(True)), (links.volume_id == hot.volume_id) & (links.parent_frn == F.col("hot")), "left").drop(hot.volume_id).drop("hot")
+        hot = links.groupBy("volume_id", "parent_frn").count().filter(F.col("count") > fragment_rows // 8).drop("count")
+        # joined by name: hot comes from links itself, so its columns can't be told apart by reference
+        placed = links.join(hot.withColumn("is_hot", F.lit(True)), ["volume_id", "parent_frn"], "left")
         moves = F.col("is_hot").isNull() & ~F.col("stop") & ~_coin("frn", level) & _coin("parent_frn", level)
         placed = placed.withColumn("bucket", F.when(moves, theirs).otherwise(own).cast("int")).drop("is_hot")
     groups = ["bucket"] if buckets > 1 else ["volume_id", "bucket"]
@@ -160,7 +161,8 @@ def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) ->
     entries = entries.select("volume_id", F.col("exit_parent").alias("frn")).join(local.select(*KEY, "bucket"), KEY)
     circled = local.join(solved.filter(F.col("fault") == CYCLE).select("volume_id", F.col("frn").alias("top")), ["volume_id", "top"], "left_semi")
     circled = circled.select(*KEY, "bucket").join(links.select(*KEY, "parent_frn"), KEY)
-    marked = circled.groupBy("volume_id", "bucket").cogroup(entries.groupBy("volume_id", "bucket")).applyInPandas(_mark, "volume_id bigint, frn bigint").withColumn("marked", F.lit(True))
+    entries = entries.select(F.col("volume_id").alias("e_volume"), "frn", F.col("bucket").alias("e_bucket"))  # both sides come from local
+    marked = circled.groupBy("volume_id", "bucket").cogroup(entries.groupBy("e_volume", "e_bucket")).applyInPandas(_mark, "volume_id bigint, frn bigint").withColumn("marked", F.lit(True))
     out = local.join(tops, ["volume_id", "top"], "left").join(marked, KEY, "left")
     kind, exit_ = F.col("kind"), F.col("kind") == EXIT
     fault = F.when(exit_ & F.col("t_fault").isin(CYCLE, BELOW), F.when(F.col("marked"), CYCLE).otherwise(BELOW)).when(exit_, F.col("t_fault")).when(kind != ROOT, kind)
