@@ -57,12 +57,11 @@ def _chains(frn: np.ndarray, parent: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def _local(with_segs: bool, last: bool):
-    """One fragment: (volume, frn, parent, stop, segs of the link, hops of the link) -> LOCAL."""
+    """One fragment: (volume, frn, parent, whether it is known, stop, segs of the link, hops of the link) -> LOCAL."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         frn, n = pdf.frn.to_numpy(np.int64), len(pdf)
-        known = pdf.parent_frn.notna().to_numpy()
-        parent = pdf.parent_frn.fillna(0).to_numpy().astype(np.int64) if pdf.parent_frn.dtype != object else np.array([0 if p is None or p != p else int(p) for p in pdf.parent_frn], np.int64)
+        known, parent = pdf.known.to_numpy(bool), pdf.parent_frn.to_numpy(np.int64)
         stop = pdf.stop.to_numpy(bool) | ~known
         top, endless, on = _chains(frn, parent, stop)
         kind = np.where(endless, np.where(on, CYCLE, BELOW), np.where(pdf.stop.to_numpy(bool)[top], ROOT, EXIT))
@@ -132,6 +131,8 @@ def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) ->
     groups = ["bucket"] if buckets > 1 else ["volume_id", "bucket"]
     if buckets > 1:  # a fragment holds one volume's nodes only
         groups = ["volume_id", "bucket"]
+    # a bigint with nulls reaches pandas as float64, which is exact to 2^53 only
+    placed = placed.withColumn("known", F.col("parent_frn").isNotNull()).withColumn("parent_frn", F.coalesce("parent_frn", F.lit(0).cast("bigint")))
     local = placed.groupBy(groups).applyInPandas(_local(with_segs, buckets == 1), LOCAL)
     if buckets == 1:
         return local.select(*KEY, F.when(F.col("kind") != ROOT, F.col("kind")).alias("fault"), F.when(F.col("kind") == ROOT, F.col("hops")).alias("depth"), F.when(F.col("kind") == ROOT, F.col("segs")).alias("chain"), "top")

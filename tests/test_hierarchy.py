@@ -53,3 +53,9 @@ def solved(spark, rows, roots, fragment_rows):
 def test_fragments_of_several_volumes(spark, hot):
     rows, roots = forest(hot=hot)
     assert solved(spark, rows, roots, TINY) == brute(rows, set(roots))
+
+
+@pytest.mark.parametrize("fragment_rows", [400_000, TINY])
+def test_large_frn_beside_null_parents(spark, fragment_rows):
+    rows, roots = forest(sequence=0x7A31, nulls=3)
+    assert solved(spark, rows, roots, fragment_rows) == brute(rows, set(roots))
