@@ -3,8 +3,8 @@
 Log-based change capture. The log is an append-only table; each row has a log partition and an offset in
 it. A run first writes a *batch plan* (per partition: offsets from, exclusive, to, inclusive) ahead of any
 work. Plans whose run did not commit are replayed, with their very ranges, by the next run. The sink keeps,
-for each key, the greatest record position it has applied; a record at or below that position is a repeat
-and changes nothing, so replays and redelivered rows are harmless. A batch's folder in the sink counts only
+for each key, the greatest record image (position, then fingerprint) it has applied; a record at or below that
+image is a repeat and changes nothing, so replays and redelivered rows are harmless. A batch's folder in the sink counts only
 when it is complete, and a replay overwrites it: there is no partly applied batch.
 """
 
@@ -111,6 +111,10 @@ class ChangeCapture:
         s = self.spec
         return F.struct(*[F.col(c) for c in dict.fromkeys((*s.position, *s.fingerprint))])
 
+    def _applied(self) -> DataFrame:
+        """The rows of the committed batches; what a crash left of others is not read."""
+        return self.spark.read.option("basePath", f"{self.root}/sink").parquet(*map(self._batch_path, self.committed()))
+
     def commit(self, run: int) -> DataFrame:
         """Process the plans not yet committed, this run's included; returns the files it must process."""
         s, keys = self.spec, list(self.spec.key)
@@ -120,27 +124,26 @@ class ChangeCapture:
             new = self._batch(plans).groupBy(keys).agg(F.max(self._image()).alias("new"))
             known = self.base
             if self.committed():
-                known = known.unionByName(self.spark.read.parquet(f"{self.root}/sink").select(known.columns))
+                known = known.unionByName(self._applied().select(known.columns))
             # only the keys of this batch: the known state is reduced before it is shuffled
             old = known.join(new.select(keys), keys, "left_semi").groupBy(keys).agg(F.max(self._image()).alias("old"))
             both = new.join(old, keys, "left")
-            at = lambda c: F.struct(*[F.col(f"{c}.{p}") for p in s.position])
             same = F.lit(True)
             for c in s.fingerprint:
                 same = same & F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}"))
-            both.filter(F.col("old").isNull() | (at("new") > at("old"))).select(*keys, "new.*", (F.col("old").isNull() | ~same).alias("changed")).write.mode("overwrite").parquet(self._batch_path(run))
+            both.filter(F.col("old").isNull() | (F.col("new") > F.col("old"))).select(*keys, "new.*", (F.col("old").isNull() | ~same).alias("changed")).write.mode("overwrite").parquet(self._batch_path(run))
         return self.changes(run)
 
     def changes(self, run: int | None = None) -> DataFrame:
         """(batch, key..., image...) of committed runs."""
-        df = self.spark.read.parquet(f"{self.root}/sink").filter("changed")
+        df = self._applied().filter("changed")
         return df if run is None else df.filter(F.col("batch") == run)
 
     def state(self) -> DataFrame:
         """The current record of every key."""
         known = self.base
         if self.committed():
-            known = known.unionByName(self.spark.read.parquet(f"{self.root}/sink").select(known.columns))
+            known = known.unionByName(self._applied().select(known.columns))
         return known.groupBy(list(self.spec.key)).agg(F.max(self._image()).alias("r")).select(*self.spec.key, "r.*")
 
     def forget(self) -> None:
