@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.changes import change_effects, current_table, volume_counts
-from siltstone.operators.hierarchy import descendant_counts, faults, full_paths, hierarchy
+from siltstone.operators.hierarchy import descendant_counts, descendants, faults, full_paths, hierarchy
 from siltstone.operators.incremental import ChangeCapture, replay_runs
 from siltstone.session import fresh_path, table
 
@@ -48,7 +48,11 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return full_paths(found, table(spark, d, "snapshot_header")).select("volume_id", "frn", "fault", "depth", "root", "path", "n_descendants")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_state, p5_counts, p6_found, p6_paths)}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return descendants(hierarchy(*_forest(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_state, p5_counts, p6_found, p6_paths, p6_descendants)}
 
 _P5 = """
 entry as (
@@ -125,4 +129,8 @@ n as (select volume_id, a as frn, count(*) as n from (select volume_id, frn, unn
 f as ({_P6_FOUND.replace("lost as", "with recursive lost as", 1)})
 select s.volume_id, s.frn, f.fault, d.depth, d.up[1] as root, d.path, coalesce(n.n, 0) as n_descendants
 from state s left join down d using (volume_id, frn) left join n using (volume_id, frn) left join f using (volume_id, frn)""",
+    "p6_descendants": f"""with {_P5} select * from (
+with recursive {_P6.rstrip().rstrip(",")}
+select volume_id, up[i] as ancestor_frn, frn, depth - i + 1 as distance
+from (select *, unnest(range(1, depth + 1)) as i from down) t) t""",
 }

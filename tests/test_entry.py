@@ -26,7 +26,7 @@ def _case(name):
     return pytest.param(name, marks=pytest.mark.xfail(raises=duckdb.ParserException, strict=True)) if name in UNPARSED else name
 
 
-@pytest.mark.parametrize("name", map(_case, sorted(e.oracle_sql())))
+@pytest.mark.parametrize("name", [_case(n) for n in sorted(e.oracle_sql())])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for (path,) in con.execute(f"select file from glob('{D}/*.parquet')").fetchall():
