@@ -105,16 +105,16 @@ y as (
                  when substr(h, 2 * seam - 3, 1) not in ('8', '9', 'A', 'B') then seam - 2 else seam - 3 end as start from x),
 z as (
   select *, substr(h, 2 * boff + 1, 4100) as s,
-         e = l or (substr(h, 2 * e - 1, 2) in ('0A', '20')) or (substr(h, 2 * e - 1, 2) in ('2E', '21', '3F', '3B') and substr(h, 2 * e + 1, 2) in ('0A', '20')) as natural
+         e = l or (substr(h, 2 * e - 1, 2) in ('0A', '20')) or (substr(h, 2 * e - 1, 2) in ('2E', '21', '3F', '3B') and substr(h, 2 * e + 1, 2) in ('0A', '20')) as nat
   from y),
 place as (
-  select distinct chunk_id from (select chunk_id, boff, l, s, unnest(range(1229, least(2048, l - boff) + 1)) as p from z where boff >= 0 and boff < l and not natural)
+  select distinct chunk_id from (select chunk_id, boff, l, s, unnest(range(1229, least(2048, l - boff) + 1)) as p from z where boff >= 0 and boff < l and not nat)
   where boff + p = l or substr(s, 2 * p - 1, 2) in ('0A', '20') or (substr(s, 2 * p - 1, 2) in ('2E', '21', '3F', '3B') and substr(s, 2 * p + 1, 2) in ('0A', '20')))
 select chunk_id from z where not coalesce(
   blen between 1 and 2048 and boff >= 0 and e <= l
   and substr(h, 2 * boff + 1, 1) not in ('8', '9', 'A', 'B') and substr(h, 2 * e + 1, 1) not in ('8', '9', 'A', 'B')
   and boff = case when nth = 1 then 0 else start end
-  and (e = l or (not final and (natural or chunk_id not in (select chunk_id from place)))), false)
+  and (e = l or (not final and (nat or chunk_id not in (select chunk_id from place)))), false)
 """
 
 SQL = {
