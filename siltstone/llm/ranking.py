@@ -54,7 +54,8 @@ def standardised(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     df = df.join(mad.join(mean, keys), keys, "left")
     scale = F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SD).otherwise(F.col("_mean") * MEAN_TO_SD)
     z = F.when(scale > 0, (F.col(x) - F.col("median")) / scale).when(F.col(x).isNotNull(), 0.0)
-    return df.withColumn("z", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), z))).drop("_off", "_mad", "_mean", "median")
+    bounded = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), z))  # these two pass over nulls
+    return df.withColumn("z", F.when(z.isNotNull(), bounded)).drop("_off", "_mad", "_mean", "median")
 
 
 def squash(z: Column) -> Column:
