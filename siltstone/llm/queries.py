@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import pieces, ranking, survivors, tokens
+from siltstone.llm import pieces, ranking, similar, survivors, tokens
 from siltstone.session import materialize, table
 
 
@@ -41,6 +42,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(table(spark, d, "documents"), pieces.piece_limit(table(spark, d, "size_limit")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.pairs(similar.similar(table(spark, d, "chunk_vector"), table(spark, d, "vector_header"), k=5, least=0.90))
+
+
+def p7_search(spark: SparkSession, d: str) -> DataFrame:
+    """The queries are the vectors whose id is divisible by 50."""
+    asked = F.col("chunk_id") % 50 == 0
+    found = similar.similar(table(spark, d, "chunk_vector"), table(spark, d, "vector_header"), k=5, asked=asked)
+    return found.select("store_id", "chunk_id", "other_id", "rank")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), tokens.vocabulary_path())
 
@@ -54,7 +66,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_spans(table(spark, d, "documents"), tokens.vocabulary_path())
 
 
-_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p8_ids, p8_decoded, p8_spans)
+_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p7_found, p7_search, p8_ids, p8_decoded, p8_spans)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOTHING = ", ".join(f"'{w}'" for w in survivors.PLACEHOLDERS)
@@ -116,11 +128,22 @@ select chunk_id from z where not coalesce(
   and boff = case when nth = 1 then 0 else start end
   and (e = l or (not final and (nat or chunk_id not in (select chunk_id from place)))), false)
 """
+_P7 = """
+with v as (
+  select distinct store_id, chunk_id, vec::double[] as x from chunk_vector join vector_header using (store_id)
+  where len(vec) = dimensions and list_sum(list_transform(vec, lambda e: abs(e::int))) > 0),
+near as (
+  select p.store_id, p.chunk_id as a, q.chunk_id as b, list_dot_product(p.x, q.x) / sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) as cos,
+         row_number() over (partition by p.store_id, p.chunk_id order by round(cos, 12) desc, q.chunk_id) as nth
+  from v p join v q on p.store_id = q.store_id and p.chunk_id <> q.chunk_id)
+"""
 
 SQL = {
     "p2_found": f"{_P2} select group_slot, keep_slot from ranked where nth = 1",
     "p2_records": f"{_P2} select group_slot, keep_slot, members, mtime, owner, title from ranked where nth = 1",
     "p3_found": f"{_P3} select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as n from r) where n <= 3",
     "p4_found": _P4,
+    "p7_found": f"{_P7} select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from near where nth <= 5 and cos >= 0.90",
+    "p7_search": f"{_P7} select store_id, a as chunk_id, b as other_id, nth as rank from near where nth <= 5 and a % 50 = 0",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }

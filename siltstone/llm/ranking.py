@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
 SLICES = 32
 LIMIT = 4.0  # standard deviations beyond which a value counts no further
 WEIGHTS = {"words": 1.0, "meaning": 1.0, "penalty": 1.0}
@@ -48,7 +50,7 @@ def standardised(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     equal z is 0. A null x has a null z.
     """
     df = df.join(medians(df, keys, x).select(*keys, "median"), keys, "left")
-    df = df.withColumn("_off", F.abs(F.col(x) - F.col("median")))
+    df = materialize(df.withColumn("_off", F.abs(F.col(x) - F.col("median"))), "deviations")
     mad = medians(df, keys, "_off").select(*keys, F.col("median").alias("_mad"))
     mean = df.groupBy(*keys).agg(F.avg("_off").alias("_mean"))
     df = df.join(mad.join(mean, keys), keys, "left")
@@ -88,7 +90,8 @@ def combined_ranking(hits: DataFrame, neighbors: DataFrame, chunks: DataFrame, d
     A document missing from a list, or with a positive penalty, has the least value on that score. Empty
     tables give an empty result.
     """
-    z = standardised(signals(hits, neighbors, chunks, docs), ["query_id", "signal"], "x")
+    rows = materialize(signals(hits, neighbors, chunks, docs), "signals")  # read by each median
+    z = standardised(rows, ["query_id", "signal"], "x")
     poor = F.col("z").isNull() | ((F.col("signal") == "penalty") & (F.col("x") < 0))
     value = F.when(poor, squash(F.lit(-LIMIT))).otherwise(squash(F.col("z")))
     weight = F.lit(None).cast("double")
