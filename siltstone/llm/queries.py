@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import pieces, ranking, similar, survivors, tokens
+from siltstone.llm import packing, pieces, ranking, similar, survivors, tokens
 from siltstone.session import materialize, table
 
 
@@ -66,7 +66,15 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_spans(table(spark, d, "documents"), tokens.vocabulary_path())
 
 
-_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p7_found, p7_search, p8_ids, p8_decoded, p8_spans)
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "size_limit"), tokens.vocabulary_path())
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p9_containers(spark, d))
+
+
+_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p7_found, p7_search, p8_ids, p8_decoded, p8_spans, p9_containers, p9_fill)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOTHING = ", ".join(f"'{w}'" for w in survivors.PLACEHOLDERS)
