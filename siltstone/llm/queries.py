@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing, pieces, ranking, similar, survivors, tokens
+from siltstone.llm import packing, pieces, quality, ranking, similar, survivors, tokens
 from siltstone.session import materialize, table
 
 
@@ -74,7 +74,24 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p9_containers(spark, d))
 
 
-_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p7_found, p7_search, p8_ids, p8_decoded, p8_spans, p9_containers, p9_fill)
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.shapes(docs, quality.fit(table(spark, d, "text_label"), docs, table(spark, d, "common_word")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(_shapes(spark, d))
+
+
+def p10_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return _shapes(spark, d).select("doc_id", *quality.SHAPES)
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_word"))
+
+
+_ALL = (p2_found, p2_records, p3_found, p3_ranking, p4_found, p4_pieces, p7_found, p7_search, p8_ids, p8_decoded, p8_spans, p9_containers, p9_fill, p10_found, p10_shapes, p10_statistics)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOTHING = ", ".join(f"'{w}'" for w in survivors.PLACEHOLDERS)
@@ -145,6 +162,20 @@ near as (
          row_number() over (partition by p.store_id, p.chunk_id order by round(cos, 12) desc, q.chunk_id) as nth
   from v p join v q on p.store_id = q.store_id and p.chunk_id <> q.chunk_id)
 """
+_BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_P10 = rf"""
+with w as (select doc_id, count(*) as n_words, sum(length(w)) as letters, count(*) filter (w in (select lower(word) from common_word)) as common
+  from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) as w from documents) t
+  where regexp_matches(w, '[\p{{L}}\p{{M}}]') group by doc_id),
+l as (select doc_id, count(*) as n_lines, count(*) filter (regexp_matches(line, '[.!?…:;。！？]["''»”’)\]]?{_BLANK}*$')) as well
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) t
+  where regexp_replace(line, '{_BLANK}+', '', 'g') <> '' group by doc_id),
+s as (select doc_id, length(regexp_replace(text, '{_BLANK}+', '', 'g')) as filled,
+        length(regexp_replace(text, '({_BLANK}|[\p{{L}}\p{{M}}\p{{N}}])+', '', 'g')) as symbols from documents)
+select d.doc_id, coalesce(n_words, 0) as n_words, letters / n_words as mean_word_length, case when filled > 0 then symbols / filled end as symbol_ratio,
+       well / n_lines as punctuated_lines, common / n_words as common_words
+from documents d left join w using (doc_id) left join l using (doc_id) left join s using (doc_id)
+"""
 
 SQL = {
     "p2_found": f"{_P2} select group_slot, keep_slot from ranked where nth = 1",
@@ -153,5 +184,6 @@ SQL = {
     "p4_found": _P4,
     "p7_found": f"{_P7} select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from near where nth <= 5 and cos >= 0.90",
     "p7_search": f"{_P7} select store_id, a as chunk_id, b as other_id, nth as rank from near where nth <= 5 and a % 50 = 0",
+    "p10_statistics": _P10,
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
