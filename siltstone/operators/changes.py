@@ -1,52 +1,60 @@
 """Applying a stream of inserts, updates and deletes, newest first.
 
-The change batches are ranges of the journal's own positions (usn), volume by volume, taken from the newest to
-the oldest. A key met for the first time is resolved by its newest image, or by a tombstone; older
-batches are anti-joined with the resolved keys; base rows of keys that no batch touched are appended.
+The change batches are ranges of the journal's own positions (usn), volume by volume, taken from the newest to the oldest,
+with about as many entries each. A key met for the first time is resolved by its newest image, or by a tombstone;
+older batches are anti-joined with the resolved keys; base rows of keys that no batch touched are appended.
 
-For the effect of every single entry the same backward pass also keeps, per resolved key, the oldest
-entry seen so far: its effect is open until an older batch, or the base table, gives the image before it.
+For the effect of every single entry the same backward pass also keeps, per resolved key, the oldest entry seen so far: its
+effect is open until an older batch, or the base table, gives the image before it. Every entry has to be looked at
+for that; the anti-join there moves the open end of a key to its older entry.
 
-Within a batch a key's entries are ordered inside small *slices* of positions first and linked across slices
-after, so that one key with a third of all rows is never sorted in one task.
+Within a batch a key's entries are ordered over many partitions, so one key with a third of all rows is never sorted in one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordered import with_neighbours
 from siltstone.session import materialize
 
 KEY = ["volume_id", "frn"]
 DELETE_FLAG = 512
-ROUNDS = 3
-SLICE_ROWS = 500_000
+ROUND_ROWS, MOST_ROUNDS = 20_000_000, 64
+FEW_VOLUMES = 100_000
 
 
-def journal_slices(journal: DataFrame, header: DataFrame, rounds: int = ROUNDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Entries not yet in the snapshot, with the batch (``round``) and slice each belongs to.
+def _few(df: DataFrame) -> DataFrame:
+    """One row per volume: broadcast where they are shown to be few."""
+    return F.broadcast(df) if df.count() <= FEW_VOLUMES else df
 
-    Rows without volume, usn, frn or reason's key part are no entries. A volume without a header row has no
-    known snapshot position: all its entries count. A null reason is no delete.
+
+def journal_entries(journal: DataFrame, header: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Entries not yet in the snapshot, each once, stored by the batch (``round``) each belongs to; and the number of batches.
+
+    Each (volume_id, usn) counts once, however often it arrives; of repeats the first to arrive (smallest entry_id) is taken.
+    Rows without volume, usn or frn are no entries. A volume without a header row has no known snapshot
+    position: all its entries count. A null reason is no delete.
     """
     e = journal.select(
         "volume_id", "usn", "frn", "parent_frn", "name", "attributes", "entry_id",
         (F.coalesce(F.col("reason"), F.lit(0)).bitwiseAND(DELETE_FLAG) != 0).alias("gone"),
     ).filter("volume_id is not null and usn is not null and frn is not null")
-    start = header.groupBy("volume_id").agg(F.max("next_usn").alias("next_usn"))
+    start = _few(header.groupBy("volume_id").agg(F.max("next_usn").alias("next_usn")))
     e = e.join(start, "volume_id", "left").filter("next_usn is null or usn >= next_usn").drop("next_usn")
-    # one cheap, column-pruned pass: bounds and sizes of the volumes' journals
-    span = (
-        journal.filter("usn is not null").join(start, "volume_id", "left").filter("next_usn is null or usn >= next_usn")
-        .groupBy("volume_id").agg(F.min("usn").alias("lo"), F.max("usn").alias("hi"), F.count("*").alias("n"))
-        .select("volume_id", "lo", (F.col("hi") - F.col("lo") + 1).cast("double").alias("width"), (F.ceil(F.col("n") / F.lit(slice_rows * rounds)) * rounds).alias("slices"))
-    )
-    e = e.join(span, "volume_id")
-    e = e.withColumn("slice", F.least(F.floor((F.col("usn") - F.col("lo")) / F.col("width") * F.col("slices")), F.col("slices") - 1).cast("int"))
-    return e.withColumn("round", F.floor(F.col("slice") * rounds / F.col("slices")).cast("int")).drop("lo", "width", "slices")
+    if rounds is None:
+        rounds = max(2, min(MOST_ROUNDS, -(-e.count() // ROUND_ROWS)))
+    # bounds of the batches: a bounded sketch of each volume's positions
+    cuts = F.percentile_approx("usn", [i / rounds for i in range(1, rounds)] or [0.5], F.lit(1000))
+    bounds = _few(materialize(e.groupBy("volume_id").agg(cuts.alias("cuts")), "bounds"))
+    e = e.join(bounds, "volume_id")
+    e = e.withColumn("round", F.size(F.filter("cuts", lambda c: c < F.col("usn"))) if rounds > 1 else F.lit(0)).drop("cuts")
+    image = ["frn", "parent_frn", "name", "attributes", "gone", "entry_id"]
+    once = e.groupBy("round", "volume_id", "usn").agg(F.min_by(F.struct(*image), "entry_id").alias("i")).select("round", "volume_id", "usn", "i.*")
+    return materialize(once, "entries", ["round"]), rounds
 
 
 def base_images(snapshot: DataFrame) -> DataFrame:
@@ -55,21 +63,21 @@ def base_images(snapshot: DataFrame) -> DataFrame:
     return s.groupBy(KEY).agg(F.min(F.struct("slot", "parent_frn", "name", "attributes")).alias("b")).select(*KEY, "b.parent_frn", "b.name", "b.attributes")
 
 
-def current_table(journal: DataFrame, snapshot: DataFrame, header: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The living files (volume_id, frn, parent_frn, name, attributes) after all changes."""
-    entries = journal_slices(journal, header, rounds)
-    # the newest image of each key in each batch, combined on the map side; one copy of a repeated entry
+def current_table(journal: DataFrame, snapshot: DataFrame, header: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The living files (volume_id, frn, parent_frn, name, attributes) after all changes.
+
+    Only entries of keys that no newer batch has resolved are aggregated. Empty tables give an empty result.
+    """
+    entries, rounds = journal_entries(journal, header, rounds)
     image = F.max_by(F.struct("parent_frn", "name", "attributes", "gone"), F.struct("usn", -F.col("entry_id")))
-    images = materialize(entries.groupBy("round", *KEY).agg(image.alias("i")), "images")
     resolved: list[DataFrame] = []
     for r in reversed(range(rounds)):
-        fresh = images.filter(F.col("round") == r)
+        fresh = entries.filter(F.col("round") == r)
         if resolved:
             fresh = fresh.join(reduce(DataFrame.unionByName, resolved).select(KEY), KEY, "left_anti")
-        resolved.append(fresh.select(*KEY, "i.*"))
+        resolved.append(materialize(fresh.groupBy(KEY).agg(image.alias("i")).select(*KEY, "i.*"), "resolved"))
     seen = reduce(DataFrame.unionByName, resolved)
-    # every key of any batch is resolved by now, so the base is held against the images themselves
-    untouched = base_images(snapshot).join(images.select(KEY).distinct(), KEY, "left_anti")
+    untouched = base_images(snapshot).join(seen.select(KEY), KEY, "left_anti")
     return seen.filter(~F.col("gone")).drop("gone").unionByName(untouched)
 
 
@@ -84,34 +92,25 @@ def _effect(gone: Column, name: Column, parent: Column, before: Column, b_gone:
 
 
 def _linked(entries: DataFrame) -> DataFrame:
-    """Each entry of a batch once, in its key's order: effect where the image before it is in the batch."""
-    w = Window.partitionBy(*KEY, "slice").orderBy("usn", "entry_id")
-    once = entries.withColumn("again", F.lag("usn").over(w)).filter("again is null or again <> usn").drop("again")
-    was = F.struct("gone", "name", "parent_frn")
-    rows = once.withColumn("b", F.lag(was).over(w)).withColumn("newest", F.lead("usn").over(w).isNull())
-    # across slices: at most two rows of a key and slice take part
-    ends = rows.filter("b is null or newest").withColumn("first", F.col("b").isNull())
-    v = Window.partitionBy(KEY).orderBy("usn")
-    ends = ends.withColumn("b", F.when(F.col("first"), F.lag(was).over(v)).otherwise(F.col("b"))).withColumn("newest", F.lead("usn").over(v).isNull())
-    inner = rows.filter("b is not null and not newest").withColumn("first", F.lit(False))
-    out = ends.unionByName(inner.select(ends.columns))
+    """Each entry of a batch in its key's order, with its effect where the image before it is in the batch too."""
+    rows = with_neighbours(entries, KEY, ["usn"], ["gone", "name", "parent_frn"], "linked")
     c = F.col
-    effect = F.when(c("b").isNotNull(), _effect(c("gone"), c("name"), c("parent_frn"), F.lit(True), c("b.gone"), c("b.name"), c("b.parent_frn")))
-    return out.select(*KEY, "usn", "parent_frn", "name", "gone", "newest", c("b").isNull().alias("oldest"), effect.alias("effect"))
+    effect = F.when(c("prev").isNotNull(), _effect(c("gone"), c("name"), c("parent_frn"), F.lit(True), c("prev.gone"), c("prev.name"), c("prev.parent_frn")))
+    return rows.select(*KEY, "usn", "parent_frn", "name", "gone", c("last").alias("newest"), c("prev").isNull().alias("oldest"), effect.alias("effect"))
 
 
-def change_effects(journal: DataFrame, snapshot: DataFrame, header: DataFrame, rounds: int = ROUNDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def change_effects(journal: DataFrame, snapshot: DataFrame, header: DataFrame, rounds: int | None = None) -> DataFrame:
     """(volume_id, usn, effect) of the entries that change the file table.
 
-    Each (volume_id, usn) counts once, however often it arrives; of repeats the first to arrive (smallest
-    entry_id) is taken. Null names and parents are compared as values. Empty tables give an empty result.
+    Names and parents are compared as they are, nulls as values: a file whose parent's number changed is updated.
+    Empty tables give an empty result.
     """
-    entries = journal_slices(journal, header, rounds, slice_rows)
+    entries, rounds = journal_entries(journal, header, rounds)
     effects: list[DataFrame] = []
     opened: DataFrame | None = None
     image = [*KEY, "usn", "parent_frn", "name", "gone"]
     for r in reversed(range(rounds)):
-        batch = materialize(_linked(entries.filter(F.col("round") == r)), "batch")
+        batch = materialize(_linked(entries.filter(F.col("round") == r).drop("round", "entry_id", "attributes")), "batch")
         effects.append(batch.filter("effect is not null").select("volume_id", "usn", "effect"))
         oldest = batch.filter("oldest").select(image)
         if opened is None:
@@ -139,3 +138,22 @@ def volume_counts(effects: DataFrame, header: DataFrame) -> DataFrame:
     n = lambda e: F.sum(F.when(F.col("effect") == e, 1).otherwise(0)).alias(e)
     found = effects.groupBy("volume_id").agg(n("created"), n("deleted"), n("updated"))
     return header.select("volume_id").distinct().join(found, "volume_id", "full").na.fill(0, ["created", "deleted", "updated"])
+
+
+def judge_stats(stats: DataFrame, journal: DataFrame, snapshot: DataFrame, header: DataFrame) -> DataFrame:
+    """(stats_id, records_read, created, deleted, updated, agrees): what each logged stretch of the journal really held.
+
+    records_read counts distinct positions from from_usn to before to_usn, those before the snapshot included; agrees is
+    false where a logged figure is null or another. Stretches without a volume or a bound hold nothing.
+    """
+    read = journal.select("volume_id", "usn").dropna().distinct().withColumn("effect", F.lit("read"))
+    rows = read.unionByName(change_effects(journal, snapshot, header))
+    logged = stats.select("stats_id", "volume_id", "from_usn", "to_usn")
+    logged = _few(logged) if stats.count() <= FEW_VOLUMES else logged
+    n = lambda e: F.count_if(F.col("effect") == e)
+    inside = [F.col("l.volume_id") == F.col("r.volume_id"), F.col("usn") >= F.col("from_usn"), F.col("usn") < F.col("to_usn")]
+    found = rows.alias("r").join(logged.alias("l"), inside).groupBy("stats_id").agg(n("read").alias("records_read"), n("created").alias("created"), n("deleted").alias("deleted"), n("updated").alias("updated"))
+    out = stats.select("stats_id", *[F.col(c).alias(f"said_{c}") for c in ("records_read", "created", "deleted", "updated")]).join(found, "stats_id", "left")
+    out = out.na.fill(0, ["records_read", "created", "deleted", "updated"])
+    agrees = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"said_{c}")), ("records_read", "created", "deleted", "updated"), F.lit(True))
+    return out.select("stats_id", "records_read", "created", "deleted", "updated", agrees.alias("agrees"))

@@ -1,7 +1,7 @@
 """Processing only new or changed records.
 
 Log-based change capture. The log is an append-only table; each row has a log partition and an offset in
-it. A run first writes a *batch plan* (per partition: offsets from, exclusive, to, inclusive) ahead of any
+it, given in order of arrival, so a row that is late by any other column is still ahead of what was read. A run first writes a *batch plan* (per partition: offsets from, exclusive, to, inclusive) ahead of any
 work. Plans whose run did not commit are replayed, with their very ranges, by the next run. The sink keeps,
 for each key, the greatest record image (position, then fingerprint) it has applied; a record at or below that
 image is a repeat and changes nothing, so replays and redelivered rows are harmless. A batch's folder in the sink counts only
@@ -77,14 +77,13 @@ class ChangeCapture:
         s = self.spec
         planned = [n for n in self._numbers("wal") if n < run]
         rows = self.log.filter((F.col(s.batch) <= run) & F.col(s.offset).isNotNull())
-        if planned:  # later batches only: reaches the scan as a range filter
-            rows = rows.filter(F.col(s.batch) > planned[-1])
-        head = rows.groupBy(F.col(s.partition).alias("part")).agg(F.max(F.struct(F.col(s.batch).alias("b"), F.col(s.offset).alias("o"))).alias("upto"))
+        head = rows.groupBy(F.col(s.partition).alias("part")).agg(F.max(s.offset).alias("upto"))
         if planned:
             last = self.spark.read.parquet(*map(self._plan_path, planned)).groupBy("part").agg(F.max("upto").alias("after"))
             head = head.join(last, head.part.eqNullSafe(last.part), "left").select(head.part, "after", "upto")
         else:
             head = head.withColumn("after", F.lit(None).cast(head.schema["upto"].dataType))
+        head = head.filter("after is null or upto > after")
         head.select("part", "after", "upto", F.lit(run).cast("long").alias("planned_by")).coalesce(1).write.mode("overwrite").parquet(path)
         return path
 
@@ -94,14 +93,14 @@ class ChangeCapture:
 
     # -- processing ---------------------------------------------------------------------------------
     def _batch(self, plans: list[int]) -> DataFrame:
-        """The rows of the plans' ranges; the scan gets the batch bounds as a pushed filter."""
+        """The rows of the plans' ranges; where every log partition was read before, the scan gets a range filter."""
         s = self.spec
         plan = self.spark.read.parquet(*map(self._plan_path, plans))
-        done = self.committed()
+        least = plan.agg(F.min("after").alias("least"), F.count_if(F.col("after").isNull()).alias("new")).head()
         rows = self.log.filter(F.col(s.batch) <= plans[-1])
-        if done:
-            rows = rows.filter(F.col(s.batch) > done[-1])
-        at = F.struct(F.col(s.batch).alias("b"), F.col(s.offset).alias("o"))
+        if least.least is not None and not least.new:
+            rows = rows.filter(F.col(s.offset) > least.least)
+        at = F.col(s.offset)
         rows = rows.join(plan, F.col(s.partition).eqNullSafe(F.col("part")) & (at <= F.col("upto")) & (F.col("after").isNull() | (at > F.col("after"))), "inner")
         for c in (*s.key, s.position[0], *s.must_have):
             rows = rows.filter(F.col(c).isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.changes import change_effects, current_table, volume_counts
+from siltstone.operators.changes import change_effects, current_table, judge_stats, volume_counts
 from siltstone.operators.hierarchy import descendant_counts, descendants, faults, full_paths, hierarchy
 from siltstone.operators.incremental import ChangeCapture, replay_runs
 from siltstone.session import fresh_path, table
@@ -32,6 +32,10 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return volume_counts(p5_found(spark, d), table(spark, d, "snapshot_header"))
 
 
+def p5_stats(spark: SparkSession, d: str) -> DataFrame:
+    return judge_stats(table(spark, d, "catchup_stats"), *_journal(spark, d))
+
+
 def _forest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     h = table(spark, d, "snapshot_header")
     s = table(spark, d, "snapshot_entry")
@@ -52,7 +56,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(*_forest(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_state, p5_counts, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_state, p5_counts, p5_stats, p6_found, p6_paths, p6_descendants)}
 
 _P5 = """
 entry as (
@@ -62,7 +66,7 @@ entry as (
         where h.next_usn is null or j.usn >= h.next_usn) t
   where nth = 1),
 image as (
-  select volume_id, frn, -1 as usn, parent_frn, name, attributes, false as gone from snapshot_entry
+  select volume_id, frn, cast(-1 as bigint) as usn, parent_frn, name, attributes, false as gone from snapshot_entry
   union all select volume_id, frn, usn, parent_frn, name, attributes, gone from entry),
 state as (
   select volume_id, frn, parent_frn, name, attributes from (
@@ -92,11 +96,11 @@ down as (
 _P6_FOUND = """
 lost as (select s.* from state s left join down d using (volume_id, frn) where d.frn is null),
 walk as (
-  select volume_id, frn, parent_frn as at, 1 as n, [frn] as seen, false as shut from lost
+  select volume_id, frn, parent_frn as up_frn, 1 as n, [frn] as seen, false as shut from lost
   union all
-  select w.volume_id, w.frn, s.parent_frn, w.n + 1, list_append(w.seen, w.at), list_contains(w.seen, w.at)
-  from walk w join state s on s.volume_id = w.volume_id and s.frn = w.at where not w.shut)
-select volume_id, frn, case when bool_or(at = frn) then 'cycle' when bool_or(shut) then 'below_cycle' else 'orphan' end as fault
+  select w.volume_id, w.frn, s.parent_frn, w.n + 1, list_append(w.seen, w.up_frn), list_contains(w.seen, w.up_frn)
+  from walk w join state s on s.volume_id = w.volume_id and s.frn = w.up_frn where not w.shut)
+select volume_id, frn, case when bool_or(up_frn = frn) then 'cycle' when bool_or(shut) then 'below_cycle' else 'orphan' end as fault
 from walk group by volume_id, frn
 """
 
@@ -123,6 +127,14 @@ where o.frn is null or o.v is distinct from n.v or o.lo is distinct from n.lo or
 select h.volume_id, count(*) filter (effect = 'created') as created, count(*) filter (effect = 'deleted') as deleted,
        count(*) filter (effect = 'updated') as updated
 from snapshot_header h left join effects e using (volume_id) group by h.volume_id""",
+    "p5_stats": f"""with {_P5},
+j as (select distinct volume_id, usn from journal_entry),
+r as (select stats_id, count(j.usn) as n from catchup_stats s left join j on j.volume_id = s.volume_id and j.usn >= s.from_usn and j.usn < s.to_usn group by stats_id),
+c as (select stats_id, count(*) filter (effect = 'created') as created, count(*) filter (effect = 'deleted') as deleted, count(*) filter (effect = 'updated') as updated
+  from catchup_stats s left join effects e on e.volume_id = s.volume_id and e.usn >= s.from_usn and e.usn < s.to_usn group by stats_id)
+select stats_id, r.n as records_read, c.created, c.deleted, c.updated,
+       coalesce(s.records_read = r.n and s.created = c.created and s.deleted = c.deleted and s.updated = c.updated, false) as agrees
+from catchup_stats s join r using (stats_id) join c using (stats_id)""",
     "p6_found": f"with recursive {_P5}, {_P6} {_P6_FOUND}",
     "p6_paths": f"""with recursive {_P5}, {_P6.rstrip().rstrip(",")},
 n as (select volume_id, a as frn, count(*) as n from (select volume_id, frn, unnest(up) as a from down) t where a <> frn group by 1, 2),

@@ -32,29 +32,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the cluster names one.
+    """A folder of this application in the one that all executors share: spark.checkpoint.dir where the cluster names it.
 
-    Only where it is unset, as in tests on one machine, a folder of our own is made and later removed.
+    Only where that is unset and the session runs on one machine, as in tests, a folder of our own is made there. Either is
+    removed at the end of the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="siltstone-")
-        atexit.register(shutil.rmtree, own, True)
-        shared_dir.own = own
-    return f"file://{own}"
+    made = _made.get(spark.sparkContext.applicationId)
+    if made is None:
+        if root:
+            made = f"{root.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            made = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _made[spark.sparkContext.applicationId] = made
+        atexit.register(_remove, spark, made)
+    return made
+
+
+_made: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, made: str) -> None:
+    try:
+        if made.startswith("file:///"):
+            shutil.rmtree(made.removeprefix("file://"), True)
+        else:
+            delete_path(spark, made)
+    except Exception:  # the session has ended before us: its folder is the cluster's to clear
+        pass
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; survives the loss of any executor."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
