@@ -1,12 +1,13 @@
 """Parent-child links to full hierarchies: faults, depth, path, root and descendants of every node.
 
-A forest too large for one task is cut into fragments of bounded size. Each fragment contracts its own
+The forest is cut into fragments of bounded size. Each fragment contracts its own
 parent chains to the node where they leave it (its exit), a root, or a local cycle. The exits form a smaller
-quotient forest, which is solved in the same way, recursively; the answers are then expanded back. A node
+quotient forest, which is solved in the same way, recursively, until one fragment holds it; the answers are then expanded back. A node
 joins its parent's fragment where a coin of its own shows tails and its parent's shows heads, so a fixed
 share of all links is contracted at each level whatever the shape of the trees. Cycles inside a fragment
 are found there, longer ones at the level of the quotient where they close, and are carried back along
-the local chains that belong to them.
+the local chains that belong to them. Children of a hot parent stay apart from it; where that keeps a quotient from shrinking, it is
+solved by doubling every node's parent link with joins.
 
 Only nodes that are somebody's parent take part; leaves get their answer from one join with their parents.
 """
@@ -22,17 +23,19 @@ from siltstone.session import materialize
 
 KEY = ["volume_id", "frn"]
 FRAGMENT_ROWS = 400_000
+SHRINKS = 0.95  # a quotient of this share of its forest or more is not contracted further
+LEAST_FRAGMENTS = 8  # of the first level, however small the forest
 ROOT, EXIT, ORPHAN, CYCLE, BELOW = "root", "exit", "orphan", "cycle", "below_cycle"
 SEP = "\\"
 
 LOCAL = "volume_id bigint, frn bigint, bucket int, kind string, top bigint, exit_parent bigint, segs array<struct<frn:bigint,name:string>>, hops bigint"
 
 
-def _chains(frn: np.ndarray, parent: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chains(frn: np.ndarray, parent: np.ndarray, stop: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, ...]:
     """Follow parents inside the fragment, all nodes at once, by doubling.
 
-    Returns each node's last node, whether the chain never ends (it runs into a cycle), and whether the
-    node lies on that cycle.
+    Returns each node's last node, whether the chain never ends (it runs into a cycle), whether the node lies on that cycle,
+    the sum of the links' lengths and the number of links to the last node, and the next node up.
     """
     n = len(frn)
     order = np.argsort(frn, kind="stable")
@@ -41,19 +44,15 @@ def _chains(frn: np.ndarray, parent: np.ndarray, stop: np.ndarray) -> tuple[np.n
     inside = (frn[order][at_c] == parent) & ~stop
     up = np.where(inside, order[at_c], np.arange(n))
     end = ~inside
-    jump = up.copy()
+    jump, hops, steps = up.copy(), np.where(inside, link, 0), inside.astype(np.int64)
     for _ in range(max(1, int(np.ceil(np.log2(n + 1)))) + 1):
+        hops, steps = hops + hops[jump], steps + steps[jump]
         jump = jump[jump]
     endless = ~end[jump]
     on = np.zeros(n, bool)
-    on[jump[endless]] = True  # past every tail, the jumps land on the cycles
-    # a cycle is closed under going up: complete it from the nodes hit
-    front = np.flatnonzero(on)
-    while len(front):
-        nxt = np.unique(up[front])
-        front = nxt[~on[nxt]]
-        on[front] = True
-    return jump, endless, on
+    on[jump[endless]] = True  # past every tail, the jumps land on the cycles, and each of their nodes is landed on by another
+    hops[endless] = steps[endless] = 0
+    return jump, endless, on, hops, steps, up
 
 
 def _local(with_segs: bool, last: bool):
@@ -63,26 +62,17 @@ def _local(with_segs: bool, last: bool):
         frn, n = pdf.frn.to_numpy(np.int64), len(pdf)
         known, parent = pdf.known.to_numpy(bool), pdf.parent_frn.to_numpy(np.int64)
         stop = pdf.stop.to_numpy(bool) | ~known
-        top, endless, on = _chains(frn, parent, stop)
+        top, endless, on, hops, steps, up = _chains(frn, parent, stop, pdf.hops.to_numpy(np.int64))
         kind = np.where(endless, np.where(on, CYCLE, BELOW), np.where(pdf.stop.to_numpy(bool)[top], ROOT, EXIT))
         # without a parent, or in the only fragment with a parent nobody is: the chain ends at nothing
         lost = (kind == EXIT) & (~known[top] | last)
         kind = np.where(lost, ORPHAN, kind)
-        order = np.argsort(frn, kind="stable")
-        at = order[np.minimum(np.searchsorted(frn[order], parent), n - 1)]
-        hops = np.zeros(n, np.int64)
         segs = [[] for _ in range(n)] if with_segs else None
-        link = pdf.hops.to_numpy(np.int64)
-        done = (top == np.arange(n)) | endless
-        todo = np.flatnonzero(~done)
-        while len(todo):  # level by level down the local trees
-            ready = todo[done[at[todo]]]
-            hops[ready] = hops[at[ready]] + link[ready]
-            if with_segs:
-                for i in ready:
-                    segs[i] = segs[at[i]] + list(pdf.segs.iat[i])
-            done[ready] = True
-            todo = todo[~done[todo]]
+        if with_segs:
+            own = pdf.segs.to_list()
+            for i in np.argsort(steps, kind="stable"):  # parents first
+                if steps[i]:
+                    segs[i] = segs[up[i]] + list(own[i])
         return pd.DataFrame({"volume_id": pdf.volume_id.to_numpy(), "frn": frn, "bucket": pdf.bucket.to_numpy(), "kind": kind, "top": frn[top], "exit_parent": pd.array(np.where(kind == EXIT, parent[top], 0), dtype="Int64"), "segs": segs if with_segs else [[]] * n, "hops": hops})
 
     return solve
@@ -116,25 +106,25 @@ def _coin(c: str, level: int) -> F.Column:
 def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) -> DataFrame:
     """links (volume_id, frn, parent_frn, stop, segs, hops), materialised -> (volume_id, frn, fault, depth, chain)."""
     n = links.count()
-    buckets = max(1, -(-n // fragment_rows))
-    if buckets == 1:
+    buckets = -(-n // fragment_rows)
+    if level == 0:
+        buckets = max(buckets, LEAST_FRAGMENTS)
+    if buckets <= 1:
         placed = links.withColumn("bucket", F.lit(0))
     else:
         own = F.pmod(F.xxhash64(F.lit(-1 - level), F.col("volume_id"), F.col("frn")), F.lit(buckets * 2))
         theirs = F.pmod(F.xxhash64(F.lit(-1 - level), F.col("volume_id"), F.col("parent_frn")), F.lit(buckets * 2))
         # children of a hot parent stay apart, or its fragment would grow with them
-        hot = links.groupBy("volume_id", "parent_frn").count().filter(F.col("count") > fragment_rows // 8).drop("count")
+        hot = links.groupBy("volume_id", "parent_frn").count().filter(F.col("count") > max(8, min(fragment_rows, n // buckets) // 8)).drop("count")
         # joined by name: hot comes from links itself, so its columns can't be told apart by reference
         placed = links.join(hot.withColumn("is_hot", F.lit(True)), ["volume_id", "parent_frn"], "left")
         moves = F.col("is_hot").isNull() & ~F.col("stop") & ~_coin("frn", level) & _coin("parent_frn", level)
         placed = placed.withColumn("bucket", F.when(moves, theirs).otherwise(own).cast("int")).drop("is_hot")
-    groups = ["bucket"] if buckets > 1 else ["volume_id", "bucket"]
-    if buckets > 1:  # a fragment holds one volume's nodes only
-        groups = ["volume_id", "bucket"]
+    groups = ["volume_id", "bucket"]  # a fragment holds one volume's nodes only
     # a bigint with nulls reaches pandas as float64, which is exact to 2^53 only
     placed = placed.withColumn("known", F.col("parent_frn").isNotNull()).withColumn("parent_frn", F.coalesce("parent_frn", F.lit(0).cast("bigint")))
-    local = placed.groupBy(groups).applyInPandas(_local(with_segs, buckets == 1), LOCAL)
-    if buckets == 1:
+    local = placed.groupBy(groups).applyInPandas(_local(with_segs, buckets <= 1), LOCAL)
+    if buckets <= 1:
         return local.select(*KEY, F.when(F.col("kind") != ROOT, F.col("kind")).alias("fault"), F.when(F.col("kind") == ROOT, F.col("hops")).alias("depth"), F.when(F.col("kind") == ROOT, F.col("segs")).alias("chain"), "top")
     local = materialize(local, "fragments")
     exits = local.filter((F.col("kind") == EXIT) & (F.col("frn") == F.col("top"))).select("volume_id", F.col("frn").alias("x"), "exit_parent")
@@ -152,7 +142,8 @@ def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) ->
     sub = materialize(
         inner.select("volume_id", F.col("x").alias("frn"), F.col("p_top").alias("parent_frn"), F.lit(False).alias("stop"), "segs", "hops")
         .unionByName(direct.select("volume_id", F.col("top").alias("frn"), F.lit(None).cast("bigint").alias("parent_frn"), F.lit(True).alias("stop"), F.array().cast("array<struct<frn:bigint,name:string>>").alias("segs"), F.lit(0).cast("bigint").alias("hops"))), "forest")
-    solved = materialize(_solve(sub, level + 1, with_segs, fragment_rows).select("volume_id", "frn", "fault", "depth", "chain", F.col("top").alias("settled")), "solved")
+    rest = _solve if sub.count() < n * SHRINKS else _doubled
+    solved = materialize(rest(sub, level + 1, with_segs, fragment_rows).select("volume_id", "frn", "fault", "depth", "chain", F.col("top").alias("settled")), "solved")
     d = direct.select("volume_id", F.col("top").alias("settled"), F.col("fault").alias("d_fault"), F.col("depth").alias("d_depth"), F.col("chain").alias("d_chain"), "root")
     tops = solved.join(d, ["volume_id", "settled"], "left").select(
         "volume_id", F.col("frn").alias("top"),
@@ -174,6 +165,39 @@ def _solve(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) ->
         F.coalesce(F.when(exit_, F.col("root")), F.col("top")).alias("top"))
 
 
+def _doubled(links: DataFrame, level: int, with_segs: bool, fragment_rows: int) -> DataFrame:
+    """What _solve gives, by joining every node with the node its link has reached, and so doubling all links.
+
+    The chains' nodes are only carried once the endless chains are known, whose lists would double as well.
+    """
+    rounds = max(1, (links.count() + 1).bit_length()) + 1
+    ends = F.col("stop") | F.col("parent_frn").isNull()
+    state = links.select(*KEY, F.when(ends, F.col("frn")).otherwise(F.col("parent_frn")).alias("to"), ends.alias("done"), F.lit(False).alias("lost"), F.when(F.col("stop"), 0).otherwise(F.col("hops")).alias("hops"), F.when(F.col("stop"), F.slice("segs", 1, 0)).otherwise(F.col("segs")).alias("segs"))
+
+    def doubled(s: DataFrame, carried: bool) -> DataFrame:
+        for _ in range(rounds):
+            s = materialize(s, "doubled")
+            if s.filter("not done").isEmpty():
+                break
+            ahead = s.select("volume_id", F.col("frn").alias("to"), F.col("to").alias("a_to"), F.col("done").alias("a_done"), F.col("lost").alias("a_lost"), F.col("hops").alias("a_hops"), F.col("segs").alias("a_segs"))
+            far = s.filter("not done").join(ahead, ["volume_id", "to"], "left")
+            gone = F.col("a_to").isNull()  # a parent that is no node
+            far = far.select(*KEY, F.coalesce("a_to", "to").alias("to"), F.when(gone, True).otherwise(F.col("a_done")).alias("done"), F.when(gone, True).otherwise(F.col("a_lost")).alias("lost"), (F.col("hops") + F.coalesce("a_hops", F.lit(0))).alias("hops"), F.when(gone | F.lit(not carried), F.col("segs")).otherwise(F.concat("a_segs", "segs")).alias("segs"))
+            s = s.filter("done").unionByName(far)
+        return materialize(s, "doubled")
+
+    plain = doubled(state.withColumn("segs", F.slice("segs", 1, 0)), False)
+    endless = plain.filter("not done")
+    on = endless.select("volume_id", F.col("to").alias("frn")).distinct().withColumn("on", F.lit(True))
+    circling = endless.select(KEY).join(on, KEY, "left").select(*KEY, F.when(F.col("on"), CYCLE).otherwise(BELOW).alias("fault"), F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("array<struct<frn:bigint,name:string>>").alias("chain"), F.col("frn").alias("top"))
+    whole = doubled(state.join(endless.select(KEY), KEY, "left_anti"), True) if with_segs else plain.filter("done")
+    stops = links.filter("stop").select("volume_id", F.col("frn").alias("to"), F.lit(True).alias("sound"))
+    out = whole.join(stops, ["volume_id", "to"], "left")
+    sound = F.col("sound") & ~F.col("lost")
+    fine = out.select(*KEY, F.when(sound, F.lit(None)).otherwise(ORPHAN).alias("fault"), F.when(sound, F.col("hops")).alias("depth"), F.when(sound, F.col("segs")).alias("chain"), F.col("to").alias("top"))
+    return fine.unionByName(circling)
+
+
 def hierarchy(nodes: DataFrame, roots: DataFrame, with_chain: bool = True, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
     """nodes (volume_id, frn, parent_frn, name), roots (volume_id, frn) ->
     (volume_id, frn, fault, depth, root, chain): chain lists the nodes from below the root down to the node.

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
+from siltstone.plans import core_problems
 
 D = "/root/testdata/sf0.001"
 
@@ -18,15 +19,10 @@ def test_sql_names_are_queries():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-#: DuckDB 2.0.0 does not parse the column name "at" in these two; their SQL is left as it was given.
-UNPARSED = {"p6_found", "p6_paths"}
+QUERIES = sorted(n for n in e.oracle_sql() if n in core_problems.SQL)
 
 
-def _case(name):
-    return pytest.param(name, marks=pytest.mark.xfail(raises=duckdb.ParserException, strict=True)) if name in UNPARSED else name
-
-
-@pytest.mark.parametrize("name", [_case(n) for n in sorted(e.oracle_sql())])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for (path,) in con.execute(f"select file from glob('{D}/*.parquet')").fetchall():

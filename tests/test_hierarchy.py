@@ -59,3 +59,35 @@ def test_fragments_of_several_volumes(spark, hot):
 def test_large_frn_beside_null_parents(spark, fragment_rows):
     rows, roots = forest(sequence=0x7A31, nulls=3)
     assert solved(spark, rows, roots, fragment_rows) == brute(rows, set(roots))
+
+
+def test_hot_folders_that_are_each_others_parents(spark):
+    rows, roots = forest(hot=20)
+    for v in (1, 2, 3):
+        rows += [(v, 7000, 7001, "p"), (v, 7001, 7000, "q")]
+        rows += [(v, 7100 + i, 7000 + i % 2, f"x{i}") for i in range(120)] + [(v, 7300 + i, 7100 + i, f"y{i}") for i in range(120)]
+    assert solved(spark, rows, roots, TINY) == brute(rows, set(roots))
+
+
+def test_a_long_chain(spark):
+    n = 3000
+    rows = [(1, i, max(1, i - 1), str(i)) for i in range(1, n)]
+    h = hierarchy(spark.createDataFrame(rows, NODE), spark.createDataFrame([(1, 1)], "volume_id bigint, frn bigint"), False, 500)
+    assert {r.frn: r.depth for r in h.collect()} == {i: i - 1 for i in range(1, n)}
+
+
+def test_doubling_alone(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import hierarchy as m
+
+    rows, roots = forest(sequence=0x7A31, hot=20, nulls=3)
+    links = spark.createDataFrame(rows, NODE).join(spark.createDataFrame(roots, "volume_id bigint, frn bigint").withColumn("stop", F.lit(True)), ["volume_id", "frn"], "left").na.fill(False, ["stop"])
+    links = links.select("volume_id", "frn", "parent_frn", "stop", F.array(F.struct("frn", "name")).alias("segs"), F.lit(1).cast("bigint").alias("hops"))
+    got = {(r.volume_id, r.frn): (r.fault, r.depth, None if r.fault else r.top, r.chain if r.chain is None else tuple(s["name"] for s in r.chain)) for r in m._doubled(links, 0, True, 1).collect()}
+    assert got == brute(rows, set(roots))
+
+
+def test_empty_tables(spark):
+    h = hierarchy(spark.createDataFrame([], NODE), spark.createDataFrame([], "volume_id bigint, frn bigint"))
+    assert h.collect() == []
