@@ -176,9 +176,10 @@ def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: flo
         _best_fit(runs, rest)
     _best_fit(runs, {s: c for s, c in counts.items() if 0 < s <= limit})
     if counts.get(0):  # texts without tokens need no space
-        if runs.runs:
-            gap, contents, times = runs.runs[0]
-            runs.runs[0] = [gap, contents, times - 1]
+        there = next((i for i, r in enumerate(runs.runs) if r[2]), None)
+        if there is not None:
+            gap, contents, times = runs.runs[there]
+            runs.runs[there] = [gap, contents, times - 1]
             runs.runs.append([gap, contents + Counter({0: counts[0]}), 1])
         else:
             runs.runs.append([capacity, Counter({0: counts[0]}), 1])
