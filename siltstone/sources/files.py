@@ -14,7 +14,7 @@ from siltstone.session import path_exists
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, size, modified, kind) of all files below a folder; contents are not opened."""
+    """(path, name, size, modified, kind) of all files below a folder that are not empty; contents are not opened."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return f.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), names.kind_of(name).alias("kind"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from siltstone.plans import core_problems
+from siltstone.plans import core_problems, reading, search, storage
 
 D = "/root/testdata/sf0.001"
 
@@ -19,7 +19,8 @@ def test_sql_names_are_queries():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-QUERIES = sorted(n for n in e.oracle_sql() if n in core_problems.SQL)
+CORE = (core_problems, search, storage, reading)
+QUERIES = sorted(n for m in CORE for n in m.SQL)
 
 
 @pytest.mark.parametrize("name", QUERIES)
