@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
 from siltstone.functions.text import tokens
+from siltstone.session import materialize
 
 
 def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,6 +26,17 @@ def lengths(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return passages.select(id_col, F.size(F.filter(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda t: t != "")).alias("dl"))
 
 
+def prepared(passages: DataFrame, wanted: list[list[str]], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """postings() of the query's terms only, and lengths() of all passages, out of one pass over the texts, stored."""
+    terms = sorted({t for p in wanted for t in p})
+    t = F.filter(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda x: x != "")
+    spots = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda s: s["term"].isin(terms) if terms else F.lit(False))
+    # the length stands beside the tokens so that they are made once
+    one = materialize(passages.select(id_col, t.alias("t")).select(id_col, F.size("t").alias("dl"), spots.alias("spots")), "prepared")
+    index = one.filter("size(spots) > 0").select(id_col, F.explode("spots").alias("s")).select(id_col, "s.term", "s.pos")
+    return index, one.select(id_col, "dl")
+
+
 def split_query(query: str) -> list[str]:
     """Terms of a query: "quoted phrases" whole, other parts split at blanks, those without a token character dropped."""
     parts = [a or b for a, b in re.findall(r'"([^"]*)"?|([^\s"][^\s]*)', query)]

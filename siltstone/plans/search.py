@@ -76,19 +76,16 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.postings(table(spark, d, "documents")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("cf"), F.sum("pos").alias("positions"))
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
-    return fulltext.postings(docs), fulltext.lengths(docs)
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.postings(table(spark, d, "documents"))
 
 
 def fts_and(spark: SparkSession, d: str) -> DataFrame:
-    index, _ = _index(spark, d)
-    return fulltext.matches(index, fulltext.phrases(spark, "contract garden")).select("doc_id").distinct()
+    return fulltext.matches(_index(spark, d), fulltext.phrases(spark, "contract garden")).select("doc_id").distinct()
 
 
 def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
-    index, _ = _index(spark, d)
-    return fulltext.matches(index, fulltext.phrases(spark, WORDS)).select("doc_id", "phrase", "tf")
+    return fulltext.matches(_index(spark, d), fulltext.phrases(spark, WORDS)).select("doc_id", "phrase", "tf")
 
 
 def fts_count(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +93,8 @@ def fts_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
-    index, sizes = _index(spark, d)
-    return fulltext.scored(index, sizes, fulltext.phrases(spark, WORDS)).select("doc_id", F.round("score", 9).alias("score"))
+    wanted = fulltext.phrases(spark, WORDS)
+    return fulltext.scored(*fulltext.prepared(table(spark, d, "documents"), wanted), wanted).select("doc_id", F.round("score", 9).alias("score"))
 
 
 def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -202,8 +199,8 @@ def search_lists(spark: SparkSession, d: str, line: str = LINE, now: datetime =
     needle = p.text.lower()
     hits = files.select("doc_id", names.name_relevance(F.col("name"), needle).alias("r")).filter("r > 0")
     lists = {"name": (fulltext.ranked(hits, [F.desc(F.round("r", 9)), F.asc("doc_id")], fixed.NAME_ROWS), 1.0)}
-    index, sizes = _index(spark, d)
-    scored = fulltext.scored(index, sizes, fulltext.phrases(spark, p.text)).withColumn("chunk_id", F.col("doc_id"))
+    wanted = fulltext.phrases(spark, p.text)
+    scored = fulltext.scored(*fulltext.prepared(table(spark, d, "documents"), wanted), wanted).withColumn("chunk_id", F.col("doc_id"))
     words = fulltext.documents(scored, table(spark, d, "doc")).withColumn("score", F.round("score", 9))
     lists["words"] = (fulltext.ranked(words, [F.asc("score"), F.asc("doc_id")], fixed.CONTENT_ROWS), 1.0)
     if meaning_query is not None:
