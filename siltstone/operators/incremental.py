@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from siltstone.session import delete_path, path_exists
 
@@ -46,6 +47,12 @@ class ChangeCapture:
         for k in known:
             self.base = self.base.filter(k)
         self.log = log.select(list(dict.fromkeys((spec.partition, spec.batch, spec.offset, *need))))
+        # known schemas spare a job for each read of the state
+        of = lambda c, df: df.schema[c].dataType
+        offset = of(spec.offset, self.log)
+        self._plan_schema = StructType([StructField("part", of(spec.partition, self.log)), StructField("after", offset), StructField("upto", offset), StructField("planned_by", LongType())])
+        image = dict.fromkeys((*spec.key, *spec.position, *spec.fingerprint))
+        self._sink_schema = StructType([*[StructField(c, of(c, self.log)) for c in image], StructField("changed", BooleanType()), StructField("batch", LongType())])
 
     # -- the write-ahead log ------------------------------------------------------------------------
     def _plan_path(self, run: int) -> str:
@@ -79,7 +86,7 @@ class ChangeCapture:
         rows = self.log.filter((F.col(s.batch) <= run) & F.col(s.offset).isNotNull())
         head = rows.groupBy(F.col(s.partition).alias("part")).agg(F.max(s.offset).alias("upto"))
         if planned:
-            last = self.spark.read.parquet(*map(self._plan_path, planned)).groupBy("part").agg(F.max("upto").alias("after"))
+            last = self._plans(planned).groupBy("part").agg(F.max("upto").alias("after"))
             head = head.join(last, head.part.eqNullSafe(last.part), "left").select(head.part, "after", "upto")
         else:
             head = head.withColumn("after", F.lit(None).cast(head.schema["upto"].dataType))
@@ -87,6 +94,9 @@ class ChangeCapture:
         head.select("part", "after", "upto", F.lit(run).cast("long").alias("planned_by")).coalesce(1).write.mode("overwrite").parquet(path)
         return path
 
+    def _plans(self, runs: list[int]) -> DataFrame:
+        return self.spark.read.schema(self._plan_schema).parquet(*map(self._plan_path, runs))
+
     def pending(self) -> list[int]:
         done = self.committed()
         return [n for n in self._numbers("wal") if not done or n > done[-1]]
@@ -95,7 +105,7 @@ class ChangeCapture:
     def _batch(self, plans: list[int]) -> DataFrame:
         """The rows of the plans' ranges; where every log partition was read before, the scan gets a range filter."""
         s = self.spec
-        plan = self.spark.read.parquet(*map(self._plan_path, plans))
+        plan = self._plans(plans)
         least = plan.agg(F.min("after").alias("least"), F.count_if(F.col("after").isNull()).alias("new")).head()
         rows = self.log.filter(F.col(s.batch) <= plans[-1])
         if least.least is not None and not least.new:
@@ -112,7 +122,10 @@ class ChangeCapture:
 
     def _applied(self) -> DataFrame:
         """The rows of the committed batches; what a crash left of others is not read."""
-        return self.spark.read.option("basePath", f"{self.root}/sink").parquet(*map(self._batch_path, self.committed()))
+        return self.spark.read.schema(self._sink_schema).option("basePath", f"{self.root}/sink").parquet(*map(self._batch_path, self.committed()))
+
+    def _known(self) -> DataFrame:
+        return self.base.unionByName(self._applied().select(self.base.columns)) if self.committed() else self.base
 
     def commit(self, run: int) -> DataFrame:
         """Process the plans not yet committed, this run's included; returns the files it must process."""
@@ -121,9 +134,7 @@ class ChangeCapture:
         plans = [n for n in self.pending() if n <= run]
         if plans:
             new = self._batch(plans).groupBy(keys).agg(F.max(self._image()).alias("new"))
-            known = self.base
-            if self.committed():
-                known = known.unionByName(self._applied().select(known.columns))
+            known = self._known()
             # only the keys of this batch: the known state is reduced before it is shuffled
             old = known.join(new.select(keys), keys, "left_semi").groupBy(keys).agg(F.max(self._image()).alias("old"))
             both = new.join(old, keys, "left")
@@ -140,9 +151,7 @@ class ChangeCapture:
 
     def state(self) -> DataFrame:
         """The current record of every key."""
-        known = self.base
-        if self.committed():
-            known = known.unionByName(self._applied().select(known.columns))
+        known = self._known()
         return known.groupBy(list(self.spec.key)).agg(F.max(self._image()).alias("r")).select(*self.spec.key, "r.*")
 
     def forget(self) -> None:
