@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
+from siltstone.functions.stems import stems
 from siltstone.functions.text import tokens
 from siltstone.session import materialize
 
@@ -52,9 +54,30 @@ def phrases(spark, query: str) -> list[list[str]]:
     return [[t for t in row[i] if t] for i in range(len(terms)) if row[i]]
 
 
-def matches(index: DataFrame, wanted: list[list[str]], id_col: str = "doc_id") -> DataFrame:
-    """(id, phrase, tf) of the passages that hold every phrase as a sequence; without phrases nothing matches."""
-    places = [(i, j, t) for i, p in enumerate(wanted) for j, t in enumerate(p)]
+def with_stems(index: DataFrame) -> DataFrame:
+    """The postings and, at the same places, the stems of their terms; each distinct term is stemmed once."""
+
+    def run(batches):
+        for b in batches:
+            pairs = [(t, s) for t in b.column(0).to_pylist() for s in stems(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["term", "stem"])
+
+    found = index.select("term").distinct().mapInArrow(run, "term string, stem string")
+    beside = index.join(found, "term").withColumn("term", F.col("stem")).select(index.columns)
+    return index.unionByName(beside).distinct()
+
+
+def alternatives(wanted: list[list[str]]) -> list[list[tuple[str, ...]]]:
+    """Each word of a query with its stems, any of which will do at its place."""
+    return [[(t, *stems(t)) for t in p] for p in wanted]
+
+
+def matches(index: DataFrame, wanted: list[list], id_col: str = "doc_id") -> DataFrame:
+    """(id, phrase, tf) of the passages that hold every phrase as a sequence; without phrases nothing matches.
+
+    A place of a phrase is a term or a tuple of alternatives.
+    """
+    places = [(i, j, a) for i, p in enumerate(wanted) for j, t in enumerate(p) for a in ((t,) if isinstance(t, str) else t)]
     if not places:
         return index.select(id_col, F.lit(0).alias("phrase"), F.lit(0).cast("bigint").alias("tf")).limit(0)
     hit = index.filter(F.col("term").isin(sorted({t for _, _, t in places}))).repartition(id_col)

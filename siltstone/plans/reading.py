@@ -72,6 +72,13 @@ def extract_status(spark: SparkSession, d: str) -> DataFrame:
     return e.join(table(spark, d, "documents").select("doc_id", "kind"), "doc_id").groupBy("kind", "status").agg(F.count("*").alias("files"))
 
 
+def worker_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a broken package, book and rich text: each row keeps its place and says what went wrong."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.lit(k) for k in (5, 7, 8, 9)])).alias("kind"), F.concat(F.lit(b"PK\x03\x04"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("raw"))
+    e = extract.extracted(docs, "doc_id", "kind", "raw")
+    return e.groupBy("status").agg(F.count("*").alias("files"), F.count_distinct("doc_id").alias("docs"))
+
+
 def identifier_parts(spark: SparkSession, d: str) -> DataFrame:
     return mapped(table(spark, d, "documents"), "doc_id", "text", "parts array<string>", lambda t: (passages.identifier_parts(t),))
 
@@ -93,7 +100,7 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
     return mapped(table(spark, d, "documents"), "doc_id", "text", "marked string", lambda t: (passages.highlight(t, TERM),))
 
 
-_ALL = (chunk_text, strip_markup, html_text, html_charset, detect_encoding, normalize_text, rtf_text, extract_status, identifier_parts, stem_terms, snippet, highlight)
+_ALL = (chunk_text, strip_markup, html_text, html_charset, detect_encoding, normalize_text, rtf_text, extract_status, worker_faults, identifier_parts, stem_terms, snippet, highlight)
 QUERIES = {f.__name__: f for f in _ALL}
 
 from siltstone.plans.search import SQL as _SEARCH  # noqa: E402

@@ -88,6 +88,12 @@ def fts_phrase(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.matches(_index(spark, d), fulltext.phrases(spark, WORDS)).select("doc_id", "phrase", "tf")
 
 
+def fts_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold both words in any form with the same stem."""
+    index = fulltext.with_stems(_index(spark, d))
+    return fulltext.matches(index, fulltext.alternatives(fulltext.phrases(spark, "contracts gardens"))).groupBy("doc_id").agg(F.sum("tf").alias("tf"))
+
+
 def fts_count(spark: SparkSession, d: str) -> DataFrame:
     return fts_and(spark, d).agg(F.count("*").alias("n"))
 
@@ -233,7 +239,7 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    name_search, name_relevance, name_topk, ext_kind, rank_penalty, anon_path, tidy_text, fold_text, tokenize_docs, postings, fts_and, fts_phrase, fts_count, fts_bm25, fts_documents,
+    name_search, name_relevance, name_topk, ext_kind, rank_penalty, anon_path, tidy_text, fold_text, tokenize_docs, postings, fts_and, fts_phrase, fts_stems, fts_count, fts_bm25, fts_documents,
     chunk_doc_join, chunk_stats, chunk_dup_stats, token_estimate, token_histogram, embed_guard, embed_order, embed_resume, embed_dedup, vec_votes, rrf_fusion, filter_boost, plan_query, worth_asking,
     search_e2e, search_names_only, json_fields)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -96,6 +96,14 @@ def magic_kind(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", names.magic_kind(F.encode("text", "UTF-8"), F.col("kind")).alias("found_kind"))
 
 
+def reader_gates(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the documents' bytes at the gates, and of what kind their first bytes say they are."""
+    raw = table(spark, d, "documents").select("kind", F.encode("text", "UTF-8").alias("raw"))
+    verdict = names.gate(F.lit(0), F.octet_length("raw"), F.col("kind"))
+    found = F.when(verdict == "open", names.magic_kind(F.col("raw"), F.col("kind")))
+    return raw.groupBy(verdict.alias("verdict"), found.alias("found_kind")).agg(F.count("*").alias("files"))
+
+
 def stored_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(names.needs_extractor(F.col("kind"))).select("doc_id", "text", F.octet_length("text").alias("raw_len"))
 
@@ -266,7 +274,7 @@ def watch_staleness(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    full_path, child_counts, compact_tree, frn_lookup, select_candidates, area_breakdown, gen_trees, inside_folder, gate_verdict, gate_stats, magic_kind, stored_text, scan_stats,
+    full_path, child_counts, compact_tree, frn_lookup, select_candidates, area_breakdown, gen_trees, inside_folder, gate_verdict, gate_stats, reader_gates, magic_kind, stored_text, scan_stats,
     dup_size_groups, dup_budget, dup_floors, dup_fingerprint, dup_exact, dup_keeper, dup_funnel, size_concentration, space_topn,
     vec_normalize, vec_quantize, vec_topk, retrieval_eval, vector_identity, vector_remove, purge_dead, delete_selective, index_delta, verify_identity, repenalize, stale_index,
     cdc_latest_state, cdc_counters, watch_staleness)
@@ -316,6 +324,10 @@ select o.volume_id, o.frn, count(*) as files from o join f on f.volume_id = o.vo
     "inside_folder": f"with {_FILES} select doc_id, starts_with(lower(path), 'c:\\projects\\') and length(path) > 12 as inside from files",
     "gate_verdict": f"select doc_id, {_GATE} as verdict from doc",
     "gate_stats": f"select {_GATE} as verdict, kind, count(*) as files, sum(size) as bytes from doc group by 1, 2",
+    "reader_gates": f"""with m as (select case when coalesce(n, 0) = 0 then 'empty' when n > case when kind in (1, 2, 3) then {fixed.TEXT_LIMIT} else {fixed.OTHER_LIMIT} end then 'too_big' else 'open' end as verdict,
+  case when n < 4 then kind {' '.join(f"when starts_with(h, '{m}') then {fixed.KIND_IDS[k]}" for k, m in fixed.MAGIC.items())}
+  when {' or '.join(f"starts_with(h, '{m}')" for m in fixed.ZIP_MAGIC)} then case when kind in (5, 7, 9) then kind else 0 end when {' or '.join(f"starts_with(h, '{m}')" for m in fixed.BINARY_MAGIC)} then 0 else kind end as k
+  from (select kind, hex(text) as h, strlen(text) as n from documents) t) select verdict, case when verdict = 'open' then k end as found_kind, count(*) as files from m group by 1, 2""",
     "magic_kind": f"""select doc_id, case when n = 0 then 0 when n < 4 then kind {' '.join(f"when starts_with(h, '{m}') then {fixed.KIND_IDS[k]}" for k, m in fixed.MAGIC.items())}
   when {' or '.join(f"starts_with(h, '{m}')" for m in fixed.ZIP_MAGIC)} then case when kind in (5, 7, 9) then kind else 0 end when {' or '.join(f"starts_with(h, '{m}')" for m in fixed.BINARY_MAGIC)} then 0 else kind end as found_kind
   from (select doc_id, kind, hex(text) as h, strlen(text) as n from documents) t""",

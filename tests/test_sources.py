@@ -38,3 +38,19 @@ def test_names(spark):
     assert {r.n: (r.k, r.e) for r in df.collect()} == {n: (k, e) for n, k, e in rows}
     r = spark.range(1).select(*[names.name_relevance(F.lit(n), "invoice").alias(f"c{i}") for i, n in enumerate(["invoice", "Invoice 2", "new-invoice", "xinvoicex", "other"])]).head()
     assert r.c0 > r.c1 > r.c2 > r.c3 > r.c4 == 0.0 and abs(r.c0 - (1 + 6 + 3 - 0.028)) < 1e-9
+
+
+def test_phrases_and_stems(spark):
+    from siltstone.operators import fulltext as t
+
+    docs = spark.createDataFrame([(1, "The contracts of l'anno"), (2, "a contract; L'ANNO contract"), (3, "anno l contratto"), (4, None), (5, ""), (6, "contract_s anno")], "doc_id bigint, text string")
+    index = t.postings(docs)
+    found = lambda i, w: sorted((r.doc_id, r.phrase, r.tf) for r in t.matches(i, w).collect())
+    assert t.split_query('l\'anno "exact phrase" -- x "open') == ["l'anno", "exact phrase", "x", "open"]
+    assert found(index, t.phrases(spark, "l'anno contract")) == [(2, 0, 1), (2, 1, 2)]
+    assert found(t.with_stems(index), t.alternatives(t.phrases(spark, "l'anno contract"))) == [(1, 0, 1), (1, 1, 1), (2, 0, 1), (2, 1, 2)]
+    assert found(index, []) == [] and t.phrases(spark, "-- ?") == []
+    assert {r.doc_id: r.dl for r in t.lengths(docs).collect()} == {1: 5, 2: 5, 3: 3, 4: 0, 5: 0, 6: 2}
+    one, sizes = t.prepared(docs, [["anno"]])
+    assert sorted((r.doc_id, r.pos) for r in one.collect()) == sorted((r.doc_id, r.pos) for r in index.filter("term = 'anno'").collect())
+    assert sizes.count() == 6 and t.scored(one, sizes, []).count() == 0
