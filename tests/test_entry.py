@@ -19,6 +19,10 @@ def test_sql_names_are_queries():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def frozen(row):
+    return tuple(tuple(v) if isinstance(v, list) else v for v in row)
+
+
 CORE = (core_problems, search, storage, reading)
 QUERIES = sorted(n for m in CORE for n in m.SQL)
 
@@ -30,4 +34,4 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {path.rsplit('/', 1)[1].removesuffix('.parquet')} as select * from '{path}'")
     found = con.execute(e.oracle_sql()[name])
     names = [c[0] for c in found.description]
-    assert Counter(map(tuple, e.queries()[name](spark, D).select(names).collect())) == Counter(found.fetchall())
+    assert Counter(map(frozen, e.queries()[name](spark, D).select(names).collect())) == Counter(map(frozen, found.fetchall()))
