@@ -37,16 +37,21 @@ def fold_map() -> tuple[str, str]:
         if base != c:
             src.append(c)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src) + marks(), "".join(dst)  # what has no counterpart is dropped
+
+
+def marks() -> str:
+    """The combining marks that vanish, by their blocks."""
+    return "".join(chr(c) for a, b in fixed.MARK_BLOCKS for c in range(a, b + 1))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics; combining marks vanish."""
-    t = F.regexp_replace(text, fixed.MARKS, "")
-    t = F.translate(t, *fold_map())
+    """Lower case without diacritics; combining marks vanish. Texts of ASCII alone take a short way to the same."""
+    t = F.translate(text, *fold_map())
     for c, more in fixed.FOLD_MORE.items():
-        t = F.regexp_replace(t, f"[{c}{c.upper() if len(c.upper()) == 1 else c}]", more)
-    return t
+        for one in dict.fromkeys((c, c.upper())):
+            t = F.replace(t, F.lit(one), F.lit(more)) if len(one) == 1 else t
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(t)
 
 
 def tokens(text: Column) -> Column:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from siltstone.functions import fixed
 from siltstone.functions.stems import stems
 from siltstone.functions.text import tokens
-from siltstone.session import materialize
+from siltstone.session import materialize, spread
 
 
 def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, pos) of every token; null texts have none."""
-    return passages.select(id_col, F.posexplode(F.filter(tokens(F.col(text_col)), lambda t: t != "")).alias("pos", "term")).select(id_col, "term", "pos")
+    return spread(passages.select(id_col, text_col)).select(id_col, F.posexplode(F.filter(tokens(F.col(text_col)), lambda t: t != "")).alias("pos", "term")).select(id_col, "term", "pos")
 
 
 def lengths(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +34,7 @@ def prepared(passages: DataFrame, wanted: list[list[str]], id_col: str = "doc_id
     t = F.filter(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")), lambda x: x != "")
     spots = F.filter(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos"))), lambda s: s["term"].isin(terms) if terms else F.lit(False))
     # the length stands beside the tokens so that they are made once
-    one = materialize(passages.select(id_col, t.alias("t")).select(id_col, F.size("t").alias("dl"), spots.alias("spots")), "prepared")
+    one = materialize(spread(passages.select(id_col, text_col)).select(id_col, t.alias("t")).select(id_col, F.size("t").alias("dl"), spots.alias("spots")), "prepared")
     index = one.filter("size(spots) > 0").select(id_col, F.explode("spots").alias("s")).select(id_col, "s.term", "s.pos")
     return index, one.select(id_col, "dl")
 

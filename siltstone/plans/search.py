@@ -250,9 +250,11 @@ def _quoted(words) -> str:
 
 
 _SRC, _DST = text.fold_map()
+_SRC = _SRC.removesuffix(text.marks())
+_MARKS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in fixed.MARK_BLOCKS) + "]"
 _EXT = "lower(regexp_extract(file_name, '(?s)\\.([^.]+)$', 1))"
 _KIND = "case " + " ".join(f"when ext in ({_quoted(v.split())}) then {fixed.KIND_IDS[k]}" for k, v in fixed.EXTENSIONS.items()) + " else 0 end"
-_FOLD = f"regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '{fixed.MARKS}', '', 'g'), '{_SRC}', '{_DST}'), '[ßẞ]', 'ss', 'g'), '[æÆ]', 'ae', 'g'), '[þÞ]', 'th', 'g')"
+_FOLD = f"regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '{_MARKS}', '', 'g'), '{_SRC}', '{_DST}'), '[ßẞ]', 'ss', 'g'), '[æÆ]', 'ae', 'g'), '[þÞ]', 'th', 'g')"
 _FOLD = _FOLD.replace("[ßẞ]", "[ß]")
 _TOKENS = f"list_filter(regexp_extract_all({_FOLD}, '{fixed.TOKEN}+'), lambda x: x <> '')"
 _RELEVANCE = f"""round(1 + case when length(name) = {len(NEEDLE)} then 6 when instr(lower(name), '{NEEDLE}') = 1 then 4

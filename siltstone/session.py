@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than half the cores, dealt out to all of them: for heavy work on small inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application in the one that all executors share: spark.checkpoint.dir where the cluster names it.
 
