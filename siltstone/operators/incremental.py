@@ -1,8 +1,10 @@
 """Processing only new or changed records.
 
-Log-based change capture. The log is an append-only table; each row has a log partition and an offset in
-it, given in order of arrival, so a row that is late by any other column is still ahead of what was read. A run first writes a *batch plan* (per partition: offsets from, exclusive, to, inclusive) ahead of any
-work. Plans whose run did not commit are replayed, with their very ranges, by the next run. The sink keeps,
+Log-based change capture. The log is an append-only table; each row has a log partition, the run it is first offered to
+and an offset. Offsets rise in order of arrival among the rows of one partition and run, so a row that is late by its run is still
+ahead of what was read; nothing is assumed of offsets across runs, whose writers may number their rows by themselves. A run first
+writes a *batch plan* (per partition and offering run: offsets from, exclusive, to, inclusive) ahead of any work.
+Plans whose run did not commit are replayed, with their very ranges, by the next run. The sink keeps,
 for each key, the greatest record image (position, then fingerprint) it has applied; a record at or below that
 image is a repeat and changes nothing, so replays and redelivered rows are harmless. A batch's folder in the sink counts only
 when it is complete, and a replay overwrites it: there is no partly applied batch.
@@ -50,7 +52,7 @@ class ChangeCapture:
         # known schemas spare a job for each read of the state
         of = lambda c, df: df.schema[c].dataType
         offset = of(spec.offset, self.log)
-        self._plan_schema = StructType([StructField("part", of(spec.partition, self.log)), StructField("after", offset), StructField("upto", offset), StructField("planned_by", LongType())])
+        self._plan_schema = StructType([StructField("part", of(spec.partition, self.log)), StructField("offered", of(spec.batch, self.log)), StructField("after", offset), StructField("upto", offset), StructField("planned_by", LongType())])
         image = dict.fromkeys((*spec.key, *spec.position, *spec.fingerprint))
         self._sink_schema = StructType([*[StructField(c, of(c, self.log)) for c in image], StructField("changed", BooleanType()), StructField("batch", LongType())])
 
@@ -84,14 +86,14 @@ class ChangeCapture:
         s = self.spec
         planned = [n for n in self._numbers("wal") if n < run]
         rows = self.log.filter((F.col(s.batch) <= run) & F.col(s.offset).isNotNull())
-        head = rows.groupBy(F.col(s.partition).alias("part")).agg(F.max(s.offset).alias("upto"))
+        head = rows.groupBy(F.col(s.partition).alias("part"), F.col(s.batch).alias("offered")).agg(F.max(s.offset).alias("upto"))
         if planned:
-            last = self._plans(planned).groupBy("part").agg(F.max("upto").alias("after"))
-            head = head.join(last, head.part.eqNullSafe(last.part), "left").select(head.part, "after", "upto")
+            last = self._plans(planned).groupBy("part", "offered").agg(F.max("upto").alias("after"))
+            head = head.join(last, head.part.eqNullSafe(last.part) & (head.offered == last.offered), "left").select(head.part, head.offered, "after", "upto")
         else:
             head = head.withColumn("after", F.lit(None).cast(head.schema["upto"].dataType))
         head = head.filter("after is null or upto > after")
-        head.select("part", "after", "upto", F.lit(run).cast("long").alias("planned_by")).coalesce(1).write.mode("overwrite").parquet(path)
+        head.select("part", "offered", "after", "upto", F.lit(run).cast("long").alias("planned_by")).coalesce(1).write.mode("overwrite").parquet(path)
         return path
 
     def _plans(self, runs: list[int]) -> DataFrame:
@@ -103,15 +105,16 @@ class ChangeCapture:
 
     # -- processing ---------------------------------------------------------------------------------
     def _batch(self, plans: list[int]) -> DataFrame:
-        """The rows of the plans' ranges; where every log partition was read before, the scan gets a range filter."""
+        """The rows of the plans' ranges; the scan gets the range of offering runs and, where all of them were read before, of offsets."""
         s = self.spec
+        # two plans not committed may have ranges of one partition and run, one after the other: a row lies in one of them at most
         plan = self._plans(plans)
-        least = plan.agg(F.min("after").alias("least"), F.count_if(F.col("after").isNull()).alias("new")).head()
-        rows = self.log.filter(F.col(s.batch) <= plans[-1])
+        least = plan.agg(F.min("offered").alias("first"), F.max("offered").alias("last"), F.min("after").alias("least"), F.count_if(F.col("after").isNull()).alias("new")).head()
+        rows = self.log.filter(F.col(s.batch).between(least.first, least.last))
         if least.least is not None and not least.new:
             rows = rows.filter(F.col(s.offset) > least.least)
         at = F.col(s.offset)
-        rows = rows.join(plan, F.col(s.partition).eqNullSafe(F.col("part")) & (at <= F.col("upto")) & (F.col("after").isNull() | (at > F.col("after"))), "inner")
+        rows = rows.join(plan, F.col(s.partition).eqNullSafe(F.col("part")) & (F.col(s.batch) == F.col("offered")) & (at <= F.col("upto")) & (F.col("after").isNull() | (at > F.col("after"))), "inner")
         for c in (*s.key, s.position[0], *s.must_have):
             rows = rows.filter(F.col(c).isNotNull())
         return rows

@@ -79,3 +79,17 @@ def test_nulls_and_empty_logs(spark, tmp_path):
     from siltstone.operators.incremental import replay_runs
 
     assert replay_runs(capture(spark, tmp_path / "r", rows), runs).collect() == []
+
+
+def test_offsets_not_in_order_of_runs(spark, tmp_path):
+    # two scanners of one volume number their rows by themselves: those of runs 2 and 3 lie below the greatest of run 1
+    rows = [(1, 1, 1, 1, 20, 6, 5, 1), (2, 2, 1, 2, 20, 6, 5, 1), (3, 3, 1, 1, 30, 7, 5, 1), (101, 1, 1, 11, 20, 6, 5, 1), (102, 2, 1, 12, 20, 6, 5, 1), (103, 3, 1, 11, 20, 6, 5, 1)]
+    cap = capture(spark, tmp_path / "c", rows)
+    assert {run: keys(cap.commit(run)) for run in (1, 2, 3)} == {1: [(1, 1), (1, 11)], 2: [(1, 2), (1, 12)], 3: [(1, 1)]}
+    # a failed run in between, and a row of run 1 that comes after its plan
+    cap = capture(spark, tmp_path / "d", rows)
+    cap.commit(1)
+    cap.plan(2)
+    cap = capture(spark, tmp_path / "d", [*rows, (104, 1, 1, 13, 20, 6, 5, 1)])
+    assert keys(cap.commit(3)) == [(1, 1), (1, 2), (1, 12), (1, 13)]
+    assert keys(cap.commit(4)) == []
